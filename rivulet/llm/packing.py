@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Workspace
-from .tokens import word_ids
+from .tokens import wide, word_ids
 
 
 @dataclass(frozen=True)
@@ -59,7 +59,7 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int, size: int, key: str =
             piece, start, length, crc = [], [], [], []
             for at in range(0, len(texts), 256):
                 for ids in tool.many(texts[at : at + 256]):
-                    ids, own = memoryview(ids + end), 0
+                    ids, own = memoryview(wide(ids, tool.kind) + end), 0
                     for k, i in enumerate(range(0, len(ids), step)):
                         part = ids[i : i + step]
                         piece.append(k), start.append(i // 4), length.append(len(part) // 4), crc.append(zlib.crc32(part))

@@ -1,13 +1,13 @@
 """Token ids in binary shards with a minimal perfect hash index.
 
 ``write`` orders the documents by key, cuts them into shards by key range and
-writes for each shard one payload file (ids as little-endian unsigned 32-bit
-integers, document after document) and one index file: a minimal perfect hash
+writes for each shard one payload file (ids as little-endian unsigned integers
+of two or four bytes, as the vocabulary needs, document after document) and one index file: a minimal perfect hash
 over the shard's distinct keys, and for each of its slots a stored fingerprint,
 the offset and the number of ids.  A lookup hashes the key, compares the
 fingerprint and reads one slice: constant time, no search through the keys.
 
-Index file, little endian: magic ``RVMP``, u32 version, u64 keys, u64 buckets,
+Index file, little endian: magic ``RVMP``, u32 version, u32 bytes an id, u64 keys, u64 buckets,
 u64 salt, i32[buckets] displacements (>= 0: added to the hash, < 0: the slot
 itself), u32[keys] fingerprints, u64[keys] offsets, u64[keys] lengths, then
 u64 rows and the rows in order: i64[rows] keys, u8[rows] null flags,
@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Workspace
-from .tokens import word_ids
+from .tokens import wide, word_ids
 
 _MAGIC, _VERSION = b"RVMP", 1
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15))
@@ -119,7 +119,7 @@ def marks(keys: np.ndarray) -> np.ndarray:
     return (_hash(keys, 0x5EED) & np.uint64(0xFFFFFFFF)).astype("<u4")
 
 
-def pack_index(keys: np.ndarray, nulls: np.ndarray, lengths: np.ndarray) -> bytes:
+def pack_index(keys: np.ndarray, nulls: np.ndarray, lengths: np.ndarray, width: int = 4) -> bytes:
     """An index file for rows in order: ``keys`` (0 where null), null flags, numbers of ids."""
     offsets = np.cumsum(lengths) - lengths
     real = np.flatnonzero(~nulls)
@@ -131,7 +131,7 @@ def pack_index(keys: np.ndarray, nulls: np.ndarray, lengths: np.ndarray) -> byte
     if n:
         slot = mph.slots(distinct)
         prints[slot], at[slot], size[slot] = marks(distinct), offsets[first], lengths[first]
-    head = _MAGIC + struct.pack("<IQQQ", _VERSION, n, len(mph.moves), mph.salt)
+    head = _MAGIC + struct.pack("<IIQQQ", _VERSION, width, n, len(mph.moves), mph.salt)
     tail = struct.pack("<Q", len(keys)) + keys.astype("<i8").tobytes() + nulls.astype("u1").tobytes() + lengths.astype("<u8").tobytes()
     return head + mph.moves.astype("<i4").tobytes() + prints.tobytes() + at.tobytes() + size.tobytes() + tail
 
@@ -142,10 +142,11 @@ class ShardIndex:
     def __init__(self, raw: bytes) -> None:
         if raw[:4] != _MAGIC:
             raise ValueError("not an index file")
-        version, n, m, salt = struct.unpack_from("<IQQQ", raw, 4)
+        version, self.width, n, m, salt = struct.unpack_from("<IIQQQ", raw, 4)
         if version != _VERSION:
             raise ValueError(f"index version {version}")
-        at = 32
+        at = 36
+        self.kind = f"<u{self.width}"
 
         def take(kind: str, count: int) -> np.ndarray:
             nonlocal at
@@ -192,7 +193,8 @@ def _get(uri: str, start: int = 0, size: int | None = None) -> bytes:
 
 
 _MANIFEST = "shard int, rows long, ids long, low long, high long"
-_SPILL = 8 << 20
+#: Ids read at once.
+_SPILL = 2 << 20
 
 
 def write(
@@ -205,7 +207,7 @@ def write(
         from pyspark import TaskContext
 
         shard, tool = TaskContext.get().partitionId(), word_ids(vocabulary)
-        end = np.array([end_id], "<u4").tobytes()
+        end = np.array([end_id], tool.kind).tobytes()
         keys, nulls, lengths = [], [], []
         store = path = own = out = None
         for b in batches:
@@ -218,7 +220,7 @@ def write(
                 out = store.open_output_stream(own)
             for at in range(0, len(texts), 256):
                 got = [x + end for x in tool.many(texts[at : at + 256])]
-                lengths += [len(x) // 4 for x in got]
+                lengths += [len(x) // len(end) for x in got]
                 out.write(b"".join(got))
             nulls.append(np.asarray(ks.is_null()))
             keys.append(np.asarray(ks.fill_null(0)))
@@ -227,7 +229,7 @@ def write(
         out.close()
         store.move(own, path)
         k, z, n = np.concatenate(keys), np.concatenate(nulls), np.array(lengths, "<u8")
-        _put(f"{folder}/shard-{shard:06d}.mph", [pack_index(k, z, n)])
+        _put(f"{folder}/shard-{shard:06d}.mph", [pack_index(k, z, n, len(end))])
         real = k[~z]
         low, high = (int(real.min()), int(real.max())) if len(real) else (None, None)
         yield pa.RecordBatch.from_arrays(
@@ -280,10 +282,10 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
                     i = 0
                     while i < rows:
                         j = i + 1
-                        while j < rows and at[j] + lengths[j] - at[i] <= _SPILL // 4:
+                        while j < rows and at[j] + lengths[j] - at[i] <= _SPILL:
                             j += 1
-                        f.seek(int(at[i]) * 4)
-                        part = memoryview(f.read(int(at[j - 1] + lengths[j - 1] - at[i]) * 4))
+                        f.seek(int(at[i]) * index.width)
+                        part = memoryview(wide(f.read(int(at[j - 1] + lengths[j - 1] - at[i]) * index.width), index.kind))
                         for r in range(i, j):
                             o = int(at[r] - at[i]) * 4
                             sums[r] = zlib.crc32(part[o : o + int(lengths[r]) * 4])
@@ -317,7 +319,9 @@ class TokenIndex:
         found = self.open[shard].find(key)
         if found is None:
             return None
-        return np.frombuffer(_get(f"{self.folder}/shard-{shard:06d}.ids", found[0] * 4, found[1] * 4), "<u4")
+        index = self.open[shard]
+        raw = _get(f"{self.folder}/shard-{shard:06d}.ids", found[0] * index.width, found[1] * index.width)
+        return np.frombuffer(raw, index.kind).astype("<u4")
 
 
 def shard_count(spark: SparkSession) -> int:

@@ -15,7 +15,7 @@ from __future__ import annotations
 import numpy as np
 
 #: Chunks that a worker remembers; about 200 bytes each.
-MEMORY = 400_000
+MEMORY = 800_000
 #: Characters of text split into chunks at once.
 _SLICE = 2_000_000
 #: New chunks given to the library at once.
@@ -31,7 +31,7 @@ _READY: dict[str, WordIds] = {}
 
 
 class WordIds:
-    """Ids of texts as little-endian unsigned 32-bit bytes."""
+    """Ids of texts as little-endian bytes: ``kind`` is two bytes an id where the vocabulary allows it, else four."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -39,6 +39,7 @@ class WordIds:
         self.library = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
         vocab = self.library.get_vocab()
+        self.kind = "<u2" if max(vocab.values()) < 1 << 16 else "<u4"
         self.final = np.zeros(max(vocab.values()) + 1, bool)
         self.final[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
 
@@ -59,10 +60,10 @@ class WordIds:
         fresh = sorted(stems)
         for at in range(0, len(fresh), _ASK):
             part = fresh[at : at + _ASK]
-            ids = np.array(self.library.encode(b" ".join(part).decode("latin-1"), add_special_tokens=False).ids, "<u4")
+            ids = np.array(self.library.encode(b" ".join(part).decode("latin-1"), add_special_tokens=False).ids, self.kind)
             ends = np.flatnonzero(self.final[ids]) + 1
             if len(ends) == len(part):  # a stem of letters is one word, and a word has one final id, its last
-                raw, at_byte = ids.tobytes(), (ends * 4).tolist()
+                raw, at_byte = ids.tobytes(), (ends * ids.itemsize).tolist()
                 got.update(zip(part, (raw[i:j] for i, j in zip([0, *at_byte], at_byte, strict=False)), strict=True))
             else:
                 got.update((w, self.whole(w.decode("latin-1"))) for w in part)
@@ -76,7 +77,7 @@ class WordIds:
         return got
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
     def many(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text; a null text counts as empty."""
@@ -120,6 +121,11 @@ class WordIds:
         return out
 
 
+def wide(ids: bytes, kind: str) -> bytes:
+    """The same ids as little-endian unsigned 32-bit integers."""
+    return ids if kind == "<u4" else np.frombuffer(ids, kind).astype("<u4").tobytes()
+
+
 def word_ids(path: str) -> WordIds:
     """The worker's one instance for this vocabulary file."""
     if path not in _READY:
