@@ -89,5 +89,5 @@ def check(output: dict[str, Expr]) -> None:
                 inner = [x for a in node.args for x in a.walk()]
                 if any(isinstance(x, Aggregate) for x in inner):
                     raise ValueError(f"{name}: an aggregate inside an aggregate")
-                if any(isinstance(x, Arg) and x.name == "key" for x in inner):
+                if any(isinstance(x, Arg) and x._arg == "key" for x in inner):
                     raise ValueError(f"{name}: the group key inside an aggregate")

@@ -164,19 +164,19 @@ class Typed(Expr):
 
 
 class Arg(Expr):
-    """A whole record."""
+    """A whole record.  Fields are attributes; one named like a method is ``r["get"]``."""
 
     def __init__(self, name: str) -> None:
-        self.name = name
+        self._arg = name
 
     def lower(self, env):  # noqa: ANN001, ANN201
-        return env[self.name].whole()
+        return env[self._arg].whole()
 
     def sides(self) -> set[str]:
-        return {self.name}
+        return {self._arg}
 
     def __getattr__(self, name: str) -> Expr:
-        if name.startswith("__"):
+        if name.startswith("__") or name == "_arg":
             raise AttributeError(name)
         return FieldRef(self, name)
 
@@ -192,10 +192,10 @@ class FieldRef(Expr):
         self.record, self.name, self.args = record, name, (record,)
 
     def lower(self, env):  # noqa: ANN001, ANN201
-        return env[self.record.name].get(self.name)
+        return env[self.record._arg].get(self.name)
 
     def dtype(self, env):  # noqa: ANN001, ANN201
-        schema = env[self.record.name].schema
+        schema = env[self.record._arg].schema
         return schema[self.name].dataType if self.name in schema.names else None
 
 
@@ -288,7 +288,7 @@ class IsNull(Expr):
 
     def lower(self, env):  # noqa: ANN001, ANN201
         a = self.args[0]
-        return ~env[a.name].present() if isinstance(a, Arg) else a.lower(env).isNull()
+        return ~env[a._arg].present() if isinstance(a, Arg) else a.lower(env).isNull()
 
 
 class IfElse(Expr):

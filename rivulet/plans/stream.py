@@ -240,16 +240,16 @@ class Key(Arg):
 
     def __init__(self, column: str) -> None:
         super().__init__("key")
-        self.column = column
+        self._column = column
 
     def lower(self, env):  # noqa: ANN001, ANN201
-        return F.col(self.column)
+        return F.col(self._column)
 
     def sides(self) -> set[str]:
         return set()
 
     def __getattr__(self, name: str) -> Expr:
-        if name.startswith("__"):
+        if name.startswith("__") or name in ("_arg", "_column"):
             raise AttributeError(name)
         return self.get(name)
 
