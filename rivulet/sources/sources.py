@@ -127,12 +127,16 @@ class ServiceSource:
         raw = ADAPTERS[self.kind](spark, self.options)
         if self.image:
             kept = raw.select(F.get_json_object("value", "$.NewImage").alias("i")).where("i IS NOT NULL")
-            raw = kept.select(plain_image("i").alias("value"))
+
+            @F.pandas_udf("string")
+            def plain(images):  # noqa: ANN001, ANN202
+                return images.map(plain_image)
+
+            raw = kept.select(plain("i").alias("value"))
         df = raw.select(F.from_json("value", self.schema).alias("r")).select("r.*")
         return Stream.from_df(df, self.order_by)
 
 
-@F.udf("string")
 def plain_image(text: str) -> str:
     """A change record's typed attributes as plain JSON."""
     import json

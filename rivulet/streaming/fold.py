@@ -30,7 +30,8 @@ def fold(df: DataFrame, keys: list[str], order: list[str], inputs: list[str], ma
     outer = [c for c in dict.fromkeys([*carried, *order])]
     schema = T.StructType([*T._parse_datatype_string(made).fields, *(df.schema[c] for c in outer)])
     names = [f.name for f in T._parse_datatype_string(made).fields]
-    group = [F.col(k) for k in keys] or [F.lit(0).alias("_all")]
+    if not keys:
+        df, keys = df.withColumn("_all", F.lit(0)), ["_all"]  # one state for the whole stream
 
     def run(key: tuple, frames: Iterable[pd.DataFrame], state: GroupState) -> Iterable[pd.DataFrame]:
         value = pickle.loads(state.get[0]) if state.exists else copy.deepcopy(initial)
@@ -44,4 +45,4 @@ def fold(df: DataFrame, keys: list[str], order: list[str], inputs: list[str], ma
             yield pd.DataFrame(out, columns=[*names, *outer])
 
     rows = df.select(*dict.fromkeys([*keys, *inputs, *outer]))
-    return rows.groupBy(*group).applyInPandasWithState(run, schema, "state binary", "append", GroupStateTimeout.NoTimeout)
+    return rows.groupBy(*keys).applyInPandasWithState(run, schema, "state binary", "append", GroupStateTimeout.NoTimeout)
