@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]+"
-USER = r"""(?i)\b(?:user(?:_?name)?|login|account|client_?id|access_?key_?id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._+-]{3,}"""
-ENDPOINT = r"""(?i)\b(?:https?|ftp|sftp|ssh|s3|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb(?:\+srv)?|redis|amqps?)://[A-Za-z0-9._~:/?#@!$&*+,;=%-]+"""
+USER = r"""(?i)(?<![A-Za-z0-9_])(?:user(?:_?name)?|login|account|client_?id|access_?key_?id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._+-]{3,}"""
+ENDPOINT = r"""(?i)(?<![A-Za-z0-9_])(?:https?|ftp|sftp|ssh|s3|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb(?:\+srv)?|redis|amqps?)://[A-Za-z0-9._~:/?#@!$&*+,;=%-]+"""
 OPAQUE = r"[A-Za-z0-9+/]{20,}"
 
 KINDS = ("assign", "access", "hex", "opaque", "user", "endpoint")
