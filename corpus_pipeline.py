@@ -43,14 +43,15 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Spans of secrets are replaced by a mark in the text; n_chars follows."""
     ws = Workspace(spark, "redact")
     parts = ws.keep(secrets.keyed(docs), "parts")
-    found = ws.keep(
-        secrets.with_weak(parts).where(F.size("spans") > 0).select("id", "h", "spans").dropDuplicates(["id", "h"]), "found"
-    )
-    own = docs.withColumn("h", F.xxhash64("doc_id", "text"))
-    hit = own.join(found, (own["h"] == found["h"]) & own["doc_id"].eqNullSafe(found["id"]), "left")
-    text = F.when(F.col("spans").isNotNull(), secrets.redact(F.col("text"), F.col("spans"))).otherwise(F.col("text"))
-    columns = [text.alias(c) if c == "text" else F.length(text).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else own[c] for c in docs.columns]
-    return hit.select(*columns)
+    spans = secrets.with_weak(parts).where(F.size("spans") > 0).select(F.col("id").alias("__id"), F.col("h").alias("__h"), F.col("spans").alias("__spans"))
+    found = ws.keep(spans.dropDuplicates(["__id", "__h"]), "found")
+    same = (F.xxhash64(docs["doc_id"], docs["text"]) == found["__h"]) & docs["doc_id"].eqNullSafe(found["__id"])
+    # the new text gets a name of its own first: an alias "text" could be taken for the old one in the same select
+    new = F.when(F.col("__spans").isNotNull(), secrets.redact(F.col("text"), F.col("__spans"))).otherwise(F.col("text"))
+    hit = docs.join(found, same, "left").withColumn("__text", new)
+    size = F.when(F.col("__spans").isNotNull(), F.length("__text")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None
+    made = {"text": F.col("__text"), "n_chars": size}
+    return hit.select(*(made[c].cast(docs.schema[c].dataType).alias(c) if c in made else F.col(c) for c in docs.columns))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
