@@ -117,3 +117,51 @@ def test_chain_and_star_components(spark):
     got = dict(map(tuple, connected_components(ws, spark.createDataFrame(chain, "a long, b long")).collect()))
     assert all(got[i] == 0 for i in range(41)) and all(got[100 + i] == 100 for i in range(300)) and got[901] == 900
     assert np.unique(list(got.values())).tolist() == [0, 100, 900]
+
+
+def shingles(text, k=5):
+    w = text.lower().split()
+    k = min(k, len(w))
+    return {" ".join(w[i : i + k]) for i in range(len(w) - k + 1)}
+
+
+def test_near_copies_are_found_and_others_left(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 8)))
+    common = [word() for _ in range(40)]
+    texts, origin = [], []
+    for d in range(120):
+        base = [rng.choice(common) if rng.random() < 0.4 else word() for _ in range(rng.randint(60, 300))]
+        texts.append(" ".join(base))
+        origin.append(d)
+        for _ in range(3):
+            copy = list(base)
+            for _ in range(rng.randint(0, len(base) // 60)):
+                copy[rng.randrange(len(copy))] = word()
+            texts.append(" ".join(copy))
+            origin.append(d)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = dict(map(tuple, simhash.near_classes(spark, df).collect()))
+    missed = total = 0
+    for i, t in enumerate(texts):
+        first = origin.index(origin[i])
+        a, b = shingles(t), shingles(texts[first])
+        if i != first and len(a & b) >= 0.8 * len(a | b):
+            total += 1
+            missed += got[i] != got[first]
+        assert origin[got[i]] == origin[i]
+    assert total > 200 and missed <= 0.05 * total
+
+
+def test_near_classes_of_odd_rows(spark, odd_docs, no_docs):
+    got = sorted(map(tuple, simhash.near_classes(spark, odd_docs).collect()))
+    assert got == [(0, 0), (1, 0), (1, 0), (2, 2), (3, 2), (4, 4), (5, 2), (6, 6), (7, 7), (8, 8)]
+    assert simhash.near_classes(spark, no_docs).count() == 0
+
+
+def test_tree_links_join_what_is_connected():
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2**63, (6, 4), dtype=np.uint64)
+    prints = np.concatenate([base[i % 6] ^ (np.uint64(1) << rng.integers(0, 64, 4).astype(np.uint64)) for i in range(80)]).reshape(-1, 4)
+    links = simhash._tree_links(np.arange(80), prints, 12)
+    assert len(links) == 80 - 6
