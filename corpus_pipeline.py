@@ -27,16 +27,23 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each class stays; rows without an id stay."""
+    """The document with the smallest id of each class stays, once; rows without an id stay."""
     ws = Workspace(spark, "dedup")
-    classes = ws.keep(simhash.components(spark, docs).where("doc_id <> component_id").select("doc_id").distinct(), "later")
-    return docs.join(classes, "doc_id", "left_anti")
+    classes = ws.keep(simhash.near_classes(spark, docs), "classes")
+    later = ws.keep(classes.where("doc_id <> component_id").select("doc_id").distinct(), "later")
+    kept = docs.join(later, "doc_id", "left_anti")
+    # a second row of the same id is a copy too; only such rows are gathered
+    twice = ws.keep(classes.groupBy("doc_id").count().where("count > 1").select("doc_id"), "twice")
+    if twice.isEmpty():
+        return kept.select(*docs.columns)
+    once = kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.join(twice, "doc_id", "left_anti").unionByName(once).select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     leaks = Workspace(spark, "leaks").keep(decontam.matches(docs, items).select("doc_id").distinct(), "leaks")
-    return docs.join(leaks, "doc_id", "left_anti")
+    return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
