@@ -89,7 +89,8 @@ def connected_components(ws: Workspace, edges: DataFrame, name: str = "cc") -> D
     while True:
         # large star: every neighbour above the node is moved to the least neighbour
         both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        # written, so that the join below has an exchange on either side and a hot node's rows can be split
+        least = ws.keep(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), f"{name}-least-{step}")
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         # small star: every neighbour below the node, and the node, go to the least
         below = large.groupBy("a").agg(F.min("b").alias("m"))
@@ -102,6 +103,7 @@ def connected_components(ws: Workspace, edges: DataFrame, name: str = "cc") -> D
             F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")
         ).first()
         ws.drop(f"{name}-{step - 1}")
+        ws.drop(f"{name}-least-{step - 1}")
         current = following
         if (seen["n"], seen["h"]) == mark:
             break
