@@ -15,7 +15,7 @@ from __future__ import annotations
 import numpy as np
 
 #: Chunks that a worker remembers; about 200 bytes each.
-MEMORY = 800_000
+MEMORY = 500_000
 #: Characters of text split into chunks at once.
 _SLICE = 2_000_000
 #: New chunks given to the library at once.
@@ -94,8 +94,8 @@ class WordIds:
 
     def _slice(self, texts: list[str | None]) -> list[bytes]:
         out: list[bytes | None] = []
-        split: list[tuple[int, list[bytes]]] = []
-        known, new = self.known, set()
+        split: list[tuple[int, list[bytes], list[bytes | None], list[int]]] = []
+        get, new = self.known.get, set()
         for text in texts:
             try:
                 raw = (text or "").encode("latin-1")
@@ -106,18 +106,18 @@ class WordIds:
                 out.append(self.whole(text))
                 continue
             chunks = raw.translate(_TABLE).split()
-            new.update(set(chunks).difference(known))
-            split.append((len(out), chunks))
+            found = list(map(get, chunks))
+            missing = [i for i, ids in enumerate(found) if ids is None]
+            new.update(chunks[i] for i in missing)
+            split.append((len(out), chunks, found, missing))
             out.append(None)
         got = self._ask(new)
-        full = len(known) >= MEMORY
-        before = {c for c in got if c in known} if full else set()
-        known.update(got)
-        for place, chunks in split:
-            out[place] = b"".join(map(known.__getitem__, chunks))
-        if full:
-            for c in got.keys() - before:
-                del known[c]
+        for place, chunks, found, missing in split:
+            for i in missing:
+                found[i] = got[chunks[i]]
+            out[place] = b"".join(found)
+        if len(self.known) < MEMORY:
+            self.known.update(got)
         return out
 
 
