@@ -1,8 +1,8 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
 Confirmed toxic documents are the positives; a sample of all documents, taken
-without regard to labels, is the unlabelled set.  A logistic classifier on
-word presence minimises the class-prior-corrected risk
+without regard to labels, is the unlabelled set.  A logistic classifier on the
+shares that words have of a text minimises the class-prior-corrected risk
 
     pi * R_p(+) + max(0, R_u(-) - pi * R_p(-))
 
@@ -10,6 +10,9 @@ in numpy; where the bracket falls below ``-beta`` the step climbs back instead
 (weight ``gamma``).  The class prior ``pi`` is measured over all labelled
 training rows unless it is given.
 
+A word counts in full from one word in ``full`` on and in proportion below, so
+that a long text is not judged by a word or two that stand in it by chance.
+
 Bounds: at most ``max_positive`` + ``max_unlabelled`` documents are fitted, in
 the order of a hash of their ids, so the choice is the same at every size of
 the cluster.  Scores are computed over whole texts.
@@ -23,10 +26,12 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,6 +47,7 @@ class ToxicityParams:
     max_features: int = 512
     min_positives: int = 4
     min_z: float = 5.0
+    full: float = 30.0
     prior: float | None = None
     beta: float = 0.0
     gamma: float = 1.0
@@ -58,20 +64,40 @@ class ToxicityModel:
     prior: float
 
 
-def features(text: str | None, bits: int) -> np.ndarray:
-    """Sorted hashes of the distinct words of a whole text, and of their first four, five and six letters."""
-    mask, crc = (1 << bits) - 1, zlib.crc32
-    words = set(_WORD.findall((text or "").lower()))
-    words |= {"^" + w[:k] for k in (4, 5, 6) for w in words if len(w) > k}
-    return np.unique(np.fromiter((crc(w.encode("utf-8", "surrogatepass")) & mask for w in words), np.int32, len(words)))
+#: Words whose hashes or places a worker remembers; emptied when full.
+_MEMORY = 200_000
+
+
+def word_hashes(word: str, bits: int) -> list[int]:
+    """The hashes of a lower-case word and of its first four, five and six letters."""
+    forms = [word, *("^" + word[:k] for k in (4, 5, 6) if len(word) > k)]
+    return [zlib.crc32(f.encode("utf-8", "surrogatepass")) & ((1 << bits) - 1) for f in forms]
+
+
+def features(text: str | None, p: ToxicityParams) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of the words of a whole text and of their beginnings, and how much each counts (0 to 1)."""
+    counts: Counter = Counter()
+    words = Counter(_WORD.findall((text or "").lower()))
+    for w, n in words.items():
+        for h in word_hashes(w, p.hash_bits):
+            counts[h] += n
+    keys = np.array(sorted(counts), np.int32)
+    times = np.array([counts[k] for k in keys.tolist()], float)
+    return keys, np.minimum(1, p.full * times / max(words.total(), 1))
 
 
-def fit_arrays(rows: list[np.ndarray], positive: np.ndarray, prior: float, p: ToxicityParams) -> ToxicityModel:
-    """The non-negative risk over hashed word presence; ``positive`` marks P, the others are U."""
+def fit_arrays(
+    rows: list[np.ndarray], positive: np.ndarray, prior: float, p: ToxicityParams, values: list[np.ndarray] | None = None
+) -> ToxicityModel:
+    """The non-negative risk over hashed words; ``positive`` marks P, the others are U.
+
+    ``values``: how much each word of a row counts; without them each counts in full.
+    """
     size = 1 << p.hash_bits
     n_p, n_u = int(positive.sum()), int((~positive).sum())
-    flat = lambda keep: np.concatenate([r for r, k in zip(rows, positive, strict=True) if k == keep] or [np.zeros(0, np.int32)])
-    df_p, df_u = (np.bincount(flat(k), minlength=size) for k in (True, False))
+    df_p, df_u = np.zeros(size, np.int64), np.zeros(size, np.int64)
+    for row, sign in zip(rows, positive, strict=True):
+        (df_p if sign else df_u)[row] += 1  # a row has each hash once
     share_p, share_u = (df_p + 0.5) / (n_p + 1), (df_u + 0.5) / (n_u + 1)
     pooled = (df_p + df_u + 1) / (n_p + n_u + 2)
     gain = (share_p - share_u) / np.sqrt(pooled * (1 - pooled) * (1 / (n_p + 1) + 1 / (n_u + 1)))
@@ -80,14 +106,16 @@ def fit_arrays(rows: list[np.ndarray], positive: np.ndarray, prior: float, p: To
     chosen = chosen[gain[chosen] > 0].astype(np.int64)
     column = np.full(size, -1, np.int64)
     column[chosen] = np.arange(len(chosen))
-    r_ix = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    c_ix = column[np.concatenate(rows)] if rows else np.zeros(0, np.int64)
-    r_ix, c_ix = r_ix[c_ix >= 0], c_ix[c_ix >= 0]
+    # only the chosen words of a row are held, so memory follows them
+    places = [np.flatnonzero(column[row] >= 0) for row in rows]
+    r_ix = np.repeat(np.arange(len(rows)), [len(x) for x in places])
+    c_ix = np.concatenate([column[row[x]] for row, x in zip(rows, places, strict=True)] or [np.zeros(0, np.int64)])
+    v_ix = np.concatenate([v[x] for v, x in zip(values, places, strict=True)]).astype(float) if values else np.ones(len(c_ix))
     w, b = np.zeros(len(chosen)), -1.0
     m, v = np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1)
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
     for step in range(1, p.steps + 1):
-        z = b + np.bincount(r_ix, w[c_ix], len(rows))
+        z = b + np.bincount(r_ix, w[c_ix] * v_ix, len(rows))
         s = sigmoid(z)
         # logistic loss: as positive log(1 + e^-z), as negative log(1 + e^z)
         negative = np.logaddexp(0, z)
@@ -97,20 +125,34 @@ def fit_arrays(rows: list[np.ndarray], positive: np.ndarray, prior: float, p: To
         down[~positive] = s[~positive] / n_u
         down[positive] = -prior * s[positive] / n_p
         g = up + down if bracket >= -p.beta else -p.gamma * down
-        grad = np.append(np.bincount(c_ix, g[r_ix], len(chosen)) + p.decay * w, g.sum())
+        grad = np.append(np.bincount(c_ix, g[r_ix] * v_ix, len(chosen)) + p.decay * w, g.sum())
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         move = p.rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         w, b = w - move[:-1], b - move[-1]
     return ToxicityModel(chosen, w, float(b), prior)
 
 
-def score_text(model: ToxicityModel, text: str | None, bits: int) -> float:
-    f = features(text, bits)
-    at = np.searchsorted(model.features, f)
-    at[at == len(model.features)] = 0
-    hit = model.features[at] == f if len(model.features) else np.zeros(len(f), bool)
-    z = model.intercept + float(model.weights[at[hit]].sum())
-    return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
+class Scorer:
+    """Scores texts; remembers which features of the model a word has."""
+
+    def __init__(self, model: ToxicityModel, p: ToxicityParams) -> None:
+        self.p, self.intercept, self.weights = p, model.intercept, model.weights.tolist()
+        self.place = {int(f): k for k, f in enumerate(model.features)}
+        self.memo: dict[str, list[int]] = {}
+
+    def __call__(self, text: str | None) -> float:
+        words, memo, times = Counter(_WORD.findall((text or "").lower())), self.memo, {}
+        for w, n in words.items():
+            places = memo.get(w)
+            if places is None:
+                if len(memo) > _MEMORY:
+                    memo.clear()
+                places = memo[w] = [self.place[h] for h in word_hashes(w, self.p.hash_bits) if h in self.place]
+            for k in places:
+                times[k] = times.get(k, 0) + n
+        scale = self.p.full / max(words.total(), 1)
+        z = self.intercept + sum(self.weights[k] * min(1.0, scale * times[k]) for k in sorted(times))
+        return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
 
 def fit(docs: DataFrame, labels: DataFrame, usable: Column, params: ToxicityParams = ToxicityParams()) -> ToxicityModel | None:
@@ -127,7 +169,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, params: ToxicityPara
         prior = marked.agg(F.avg((F.col("toxic") == 1).cast("double"))).first()[0]
     prior = min(max(prior, 1e-4), 0.9)
     blind = set(by_hash(docs.where(usable & F.col("doc_id").isNotNull()).select("doc_id"), p.max_unlabelled))
-    spark, bits = docs.sparkSession, p.hash_bits
+    spark = docs.sparkSession
     ids = spark.createDataFrame([(i, i in known, i in blind) for i in sorted(known | blind)], "doc_id long, p boolean, u boolean")
     # at most max_positive + max_unlabelled ids; one text for each id
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), "doc_id")
@@ -135,27 +177,31 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, params: ToxicityPara
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [features(t, bits).astype("<i4").tobytes() for t in b.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(got, pa.binary())], ["doc_id", "p", "u", "f"])
-
-    got = sorted(texts.select("doc_id", "p", "u", "text").mapInArrow(run, "doc_id long, p boolean, u boolean, f binary").collect())
-    rows, positive = [], []
-    for _, in_p, in_u, f in got:
+            got = [features(t, p) for t in b.column(3).to_pylist()]
+            hashes = pa.array([h.astype("<i4").tobytes() for h, _ in got], pa.binary())
+            weights = pa.array([v.astype("<f2").tobytes() for _, v in got], pa.binary())
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], hashes, weights], ["doc_id", "p", "u", "h", "v"])
+
+    made = texts.select("doc_id", "p", "u", "text").mapInArrow(run, "doc_id long, p boolean, u boolean, h binary, v binary")
+    rows, values, positive = [], [], []
+    for _, in_p, in_u, h, v in sorted(made.collect()):
         for member, sign in ((in_p, True), (in_u, False)):
             if member:
-                rows.append(np.frombuffer(f, "<i4"))
+                rows.append(np.frombuffer(h, "<i4"))
+                values.append(np.frombuffer(v, "<f2"))
                 positive.append(sign)
-    return fit_arrays(rows, np.array(positive), prior, p) if any(positive) and not all(positive) else None
+    return fit_arrays(rows, np.array(positive), prior, p, values) if any(positive) and not all(positive) else None
 
 
 def score(docs: DataFrame, model: ToxicityModel | None, params: ToxicityParams = ToxicityParams()) -> DataFrame:
     """``docs`` with a column toxicity (double, 0 to 1) added."""
-    bits = params.hash_bits
     if model is None:
         return docs.withColumn("toxicity", F.lit(0.0))
 
     @F.pandas_udf("double")
-    def toxicity(texts):  # noqa: ANN001, ANN202
-        return texts.map(lambda t: score_text(model, t, bits)).astype("float64")
+    def toxicity(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        scorer = Scorer(model, params)
+        for texts in batches:
+            yield texts.map(scorer).astype("float64")
 
     return docs.withColumn("toxicity", toxicity(F.coalesce("text", F.lit(""))))
