@@ -31,6 +31,7 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -225,8 +226,52 @@ def _tree_links(ids: np.ndarray, prints: np.ndarray, most: int) -> list[tuple[in
     return out
 
 
+#: Members of a dense block that are tried as the centre of its largest group.
+_HUBS = 8
+
+
+def _spread_links(ws: Workspace, dense: DataFrame, shown: list[str], most: int, size: int) -> DataFrame:
+    """Links inside blocks with more than ``size`` members, which no task holds whole.
+
+    ``dense``: block, n (its members), rep, the shingle fingerprint.  Eight
+    members of a block are compared with all its members, which costs in
+    proportion to them; a large group of near copies is then one star.  Only
+    members outside the largest star meet the whole block, in parts of about
+    ``size`` by ``size`` that are searched apart and give a tree each.  Two
+    members in the star are connected by its hub, and any other pair meets in
+    one part, so no class is lost.
+    """
+    near = lambda hub: sum((F.bit_count(F.col(c).bitwiseXOR(hub[c])) for c in shown), F.lit(0)) <= most
+    hubs = dense.groupBy("block").agg(
+        *(F.min(F.struct(F.xxhash64(F.lit(k), "rep").alias("h"), "rep", *shown)).alias(f"hub{k}") for k in range(_HUBS))
+    )
+    stars = F.array(*(F.when(near(F.col(f"hub{k}")), F.col(f"hub{k}.rep")) for k in range(_HUBS)))
+    met = ws.keep(dense.join(hubs, "block").select("block", "n", "rep", *shown, stars.alias("stars")), "met")
+    sums = met.groupBy("block").agg(*(F.count(F.col("stars")[k]).alias(f"s{k}") for k in range(_HUBS)))
+    every = [F.col(f"s{k}") for k in range(_HUBS)]
+    best = sums.select("block", F.array_position(F.array(*every), F.greatest(*every)).cast("int").alias("best"))
+    rest = met.join(best, "block").where(F.element_at("stars", F.col("best")).isNull()).select("block", "n", "rep", *shown)
+    rest = ws.keep(rest, "rest")
+    star = met.select(F.col("rep").alias("a"), F.explode("stars").alias("b")).where("b IS NOT NULL AND a <> b")
+    left_over = rest.groupBy("block").agg(F.count("*").alias("m"))
+    part = lambda what, parts: F.pmod(F.xxhash64(F.lit(what), "rep"), F.col(parts)).cast("int").alias(what)
+    spread = lambda what, parts: F.explode(F.sequence(F.lit(0), F.col(parts).cast("int") - 1)).alias(what)
+    sized = lambda rows: rows.join(left_over, "block").withColumns({"rs": F.ceil(F.col("m") / size), "cs": F.ceil(F.col("n") / size)})
+    one = sized(rest).select("block", "rep", *shown, part("r", "rs"), spread("c", "cs"))
+    other = sized(met).select("block", "rep", *shown, part("c", "cs"), spread("r", "rs"))
+
+    def link(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        own = pd.concat([a, b]).drop_duplicates("rep")
+        prints = np.ascontiguousarray(own[shown].to_numpy(np.int64)).view(np.uint64)
+        pairs = _tree_links(own["rep"].to_numpy(np.int64), prints, most) if len(own) else []
+        return pd.DataFrame(np.array(pairs, np.int64).reshape(-1, 2), columns=["a", "b"])
+
+    keys = ["block", "r", "c"]
+    return star.unionByName(one.groupBy(*keys).cogroup(other.groupBy(*keys)).applyInPandas(link, "a long, b long"))
+
+
 def near_classes(
-    spark: SparkSession, docs: DataFrame, words: int = 5, most: int = 44, key: str = "doc_id", text: str = "text"
+    spark: SparkSession, docs: DataFrame, words: int = 5, most: int = 44, key: str = "doc_id", text: str = "text", dense_from: int = 4096
 ) -> DataFrame:
     """doc_id, component_id of every row with a known id: classes of near copies.
 
@@ -235,7 +280,8 @@ def near_classes(
     pairs are below 44.  A candidate pair agrees on two of five blocks of one of
     four word fingerprints, which 98 to 100 of 100 pairs at 0.8 do.  Equal
     fingerprints are collapsed first; members of a block are streamed through
-    one sorted pass and give a tree of links, not pairs.
+    one sorted pass and give a tree of links, not pairs.  Blocks of more than
+    ``dense_from`` members are searched in parts by ``_spread_links``.
     """
     ws = Workspace(spark, "near")
     names = [f"f{i}" for i in range(2 * len(_SEEDS))]
@@ -282,8 +328,16 @@ def near_classes(
         if held:
             yield out(np.concatenate(held))
 
-    dealt = keyed.select("block", "rep", *shown).repartition(parts, "block").sortWithinPartitions("block", "rep")
-    edges = ws.keep(dealt.mapInArrow(link, "a long, b long").distinct(), "edges")
+    # summed in each task first, so a block that very many rows share is no hot key here
+    dense = ws.keep(keyed.groupBy("block").agg(F.count("*").alias("n")).where(F.col("n") > dense_from), "dense")
+    any_dense = not dense.isEmpty()
+    sparse = keyed.join(dense.select("block"), "block", "left_anti") if any_dense else keyed
+    dealt = sparse.select("block", "rep", *shown).repartition(parts, "block").sortWithinPartitions("block", "rep")
+    found_links = dealt.mapInArrow(link, "a long, b long")
+    if any_dense:
+        members = ws.keep(keyed.join(dense, "block").select("block", "n", "rep", *shown), "members")
+        found_links = found_links.unionByName(_spread_links(ws, members, shown, most, dense_from))
+    edges = ws.keep(found_links.distinct(), "edges")
     roots = connected_components(ws, edges).select(F.col("node").alias("rep"), F.col("root").alias("component_id"))
     classes = ws.keep(least.join(roots, "rep", "left").select(*names, F.coalesce("component_id", "rep").alias("component_id")), "classes")
     return found.join(classes, names).select("doc_id", "component_id")

@@ -165,3 +165,35 @@ def test_tree_links_join_what_is_connected():
     prints = np.concatenate([base[i % 6] ^ (np.uint64(1) << rng.integers(0, 64, 4).astype(np.uint64)) for i in range(80)]).reshape(-1, 4)
     links = simhash._tree_links(np.arange(80), prints, 12)
     assert len(links) == 80 - 6
+
+
+def test_dense_blocks_in_parts_give_the_same_classes(spark):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 8)))
+    texts = []
+    for family in range(6):
+        base = [word() for _ in range(150)]
+        for _ in range(60 if family == 0 else 12):
+            copy = list(base)
+            for _ in range(rng.randint(1, 4)):
+                copy[rng.randrange(len(copy))] = word()
+            texts.append(" ".join(copy))
+    rng.shuffle(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    whole = sorted(map(tuple, simhash.near_classes(spark, df).collect()))
+    parts = sorted(map(tuple, simhash.near_classes(spark, df, dense_from=5).collect()))
+    assert whole == parts and len({c for _, c in whole}) < len(texts) / 3
+
+
+def test_parts_of_one_block_lose_no_class(spark):
+    """A block without one large group: every connected pair has to meet in some part."""
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 2**63, (9, 4), dtype=np.uint64)
+    prints = np.concatenate([base[i % 9] ^ (np.uint64(1) << rng.integers(0, 64, 4).astype(np.uint64)) for i in range(180)]).reshape(-1, 4)
+    rows = [(7, 180, i, *map(int, p.view(np.int64))) for i, p in enumerate(prints)]
+    shown = ["f4", "f5", "f6", "f7"]
+    dense = spark.createDataFrame(rows, "block long, n long, rep long, f4 long, f5 long, f6 long, f7 long")
+    ws = Workspace(spark, "parts")
+    edges = simhash._spread_links(ws, dense, shown, 12, 16)
+    roots = dict(map(tuple, connected_components(ws, edges).collect()))
+    assert [roots[i] for i in range(180)] == [i % 9 for i in range(180)]
