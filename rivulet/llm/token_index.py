@@ -1,11 +1,17 @@
 """Token ids in binary shards with a minimal perfect hash index.
 
-``write`` orders the documents by key, cuts them into shards by key range and
+``write`` orders the documents by key, cuts them into shards by range and
 writes for each shard one payload file (ids as little-endian unsigned integers
-of two or four bytes, as the vocabulary needs, document after document) and one index file: a minimal perfect hash
-over the shard's distinct keys, and for each of its slots a stored fingerprint,
-the offset and the number of ids.  A lookup hashes the key, compares the
-fingerprint and reads one slice: constant time, no search through the keys.
+of two or four bytes, as the vocabulary needs, document after document) and one
+index file: a minimal perfect hash over the shard's distinct keys, and for each
+of its slots a stored fingerprint, the offset and the number of ids.  A lookup
+hashes the key, compares the fingerprint and reads one slice: constant time, no
+search through the keys.
+
+Shards follow the volume of text (``shard_count``), so an index, the one thing
+that a task holds whole, has a bounded size.  Ranges are cut by key, then by a
+hash of the text, then by the row's number, so even rows that all have one key
+are spread over shards; a lookup then goes to the first shard of its key.
 
 Index file, little endian: magic ``RVMP``, u32 version, u32 bytes an id, u64 keys, u64 buckets,
 u64 salt, i32[buckets] displacements (>= 0: added to the hash, < 0: the slot
@@ -30,7 +36,7 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
-from bisect import bisect_right
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -238,7 +244,9 @@ def write(
         )
 
     rows = docs.select(F.col(key).cast("long").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    ordered = rows.repartitionByRange(shards, F.col("k").asc_nulls_first()).sortWithinPartitions(F.col("k").asc_nulls_first(), F.xxhash64("t"), "t")
+    order = (F.col("k").asc_nulls_first(), "h", "n")
+    numbered = rows.select("k", "t", F.xxhash64("t").alias("h"), F.monotonically_increasing_id().alias("n"))
+    ordered = numbered.repartitionByRange(shards, *order).sortWithinPartitions(*order).select("k", "t")
     manifest = ordered.mapInArrow(run, _MANIFEST)
     manifest.write.mode("overwrite").parquet(f"{folder}/manifest")
     return docs.sparkSession.read.schema(manifest.schema).parquet(f"{folder}/manifest")
@@ -303,15 +311,15 @@ class TokenIndex:
     """Keyed access from one process."""
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
-        rows = spark.read.schema(_MANIFEST).parquet(f"{folder}/manifest").where("low IS NOT NULL").orderBy("low")
+        rows = spark.read.schema(_MANIFEST).parquet(f"{folder}/manifest").where("low IS NOT NULL").orderBy("shard")
         self.folder, self.shards = folder, [(r["low"], r["high"], r["shard"]) for r in rows.toLocalIterator()]
-        self.lows = [x[0] for x in self.shards]
+        self.highs = [x[1] for x in self.shards]
         self.open: dict[int, ShardIndex] = {}
 
     def get(self, key: int) -> np.ndarray | None:
         """The ids of a key's document, or None."""
-        at = bisect_right(self.lows, key) - 1
-        if at < 0 or key > self.shards[at][1]:
+        at = bisect_left(self.highs, key)  # the first shard that ends at the key or after it
+        if at == len(self.shards) or key < self.shards[at][0]:
             return None
         shard = self.shards[at][2]
         if shard not in self.open:
@@ -324,13 +332,20 @@ class TokenIndex:
         return np.frombuffer(raw, index.kind).astype("<u4")
 
 
-def shard_count(spark: SparkSession) -> int:
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+#: Characters and rows of a shard, about; its index is held whole by one task.
+SHARD_CHARS, SHARD_ROWS = 256_000_000, 500_000
+
+
+def shard_count(docs: DataFrame, text: str = "text") -> int:
+    """By volume, and at least the session's number of shuffle partitions."""
+    chars, rows = docs.agg(F.sum(F.length(text)), F.count("*")).first()
+    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, least, -(-(chars or 0) // SHARD_CHARS), -(-rows // SHARD_ROWS))
 
 
 def round_trip(docs: DataFrame, vocabulary: str, end_id: int = 2) -> DataFrame:
     """Write the shards to a fresh folder of the shared folder and read them back."""
     spark = docs.sparkSession
     folder = Workspace(spark, "token-index").path("shards")
-    write(docs, folder, vocabulary, end_id, shard_count(spark))
+    write(docs, folder, vocabulary, end_id, shard_count(docs))
     return read(spark, folder)

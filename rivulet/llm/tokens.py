@@ -3,26 +3,32 @@
 That vocabulary drops white space and never merges across it, so the ids of a
 text are the ids of its white-space-separated chunks in a row.  Chunks repeat
 far more often than texts do: each worker keeps the ids of the chunks it has
-met (up to ``MEMORY`` of them) and asks the library only for new ones.
+met twice (up to ``MEMORY`` of them) and works out only the others.
 
 Splitting is done on Latin-1 bytes, where the tokenizer's normaliser (NFC,
-white space, lower case) is a byte table.  Any text with other characters, or
-with the literal form of a special token, goes to the library whole.
+white space, lower case) is a byte table, ``_SLICE`` bytes at a time.  A run of
+letters is one word of the vocabulary's model, which is asked directly.  Any
+text with other characters, or with the literal form of a special token, goes
+to the library whole.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 #: Chunks that a worker remembers; about 200 bytes each.
-MEMORY = 500_000
-#: Characters of text split into chunks at once.
-_SLICE = 2_000_000
-#: New chunks given to the library at once.
-_ASK = 4096
+MEMORY = 300_000
+#: Bytes of text split into chunks at once.
+_SLICE = 1 << 20
+#: Places that note, by hash, which chunks a worker has met once.
+_MET = 1 << 22
 
+# white space and separators to a space, capitals to small letters
 _TABLE = bytes(
-    0x20 if c in (0x85, 0xA0) else c + 32 if 65 <= c <= 90 or (0xC0 <= c <= 0xDE and c != 0xD7) else c for c in range(256)
+    0x20 if c in (0x85, 0xA0) or 9 <= c <= 13 else c + 32 if 65 <= c <= 90 or (0xC0 <= c <= 0xDE and c != 0xD7) else c
+    for c in range(256)
 )
 _LETTERS = bytes(c for c in range(256) if chr(c).isalpha())
 _TAIL = bytes(c for c in range(33, 256) if not chr(c).isalpha() and not chr(c).isnumeric() and c not in (0x27, 0x85, 0xA0))
@@ -30,6 +36,16 @@ _SPECIAL = ("<|startoftext|>", "<|endoftext|>")
 _READY: dict[str, WordIds] = {}
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself if it is printable, else one from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+_BYTE_LETTERS = _byte_letters()
+
+
 class WordIds:
     """Ids of texts as little-endian bytes: ``kind`` is two bytes an id where the vocabulary allows it, else four."""
 
@@ -37,88 +53,74 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        self.model = self.library.model
         self.known: dict[bytes, bytes] = {}
-        vocab = self.library.get_vocab()
-        self.kind = "<u2" if max(vocab.values()) < 1 << 16 else "<u4"
-        self.final = np.zeros(max(vocab.values()) + 1, bool)
-        self.final[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-
-    def _ask(self, chunks: set[bytes]) -> dict[bytes, bytes]:
-        """Ids of chunks.  Punctuation at the end of a chunk is a piece of its own unless an
-        apostrophe is in it, so only the stems before it are new words."""
-        known, stems, odd = self.known, set(), []
-        parts = {}
-        for c in chunks:
-            stem = c.rstrip(_TAIL)
-            if stem.translate(None, _LETTERS):
-                odd.append(c)
-            else:
-                parts[c] = stem
-                if stem and stem not in known:
-                    stems.add(stem)
-        got: dict[bytes, bytes] = {b"": b""}
-        fresh = sorted(stems)
-        for at in range(0, len(fresh), _ASK):
-            part = fresh[at : at + _ASK]
-            ids = np.array(self.library.encode(b" ".join(part).decode("latin-1"), add_special_tokens=False).ids, self.kind)
-            ends = np.flatnonzero(self.final[ids]) + 1
-            if len(ends) == len(part):  # a stem of letters is one word, and a word has one final id, its last
-                raw, at_byte = ids.tobytes(), (ends * ids.itemsize).tolist()
-                got.update(zip(part, (raw[i:j] for i, j in zip([0, *at_byte], at_byte, strict=False)), strict=True))
-            else:
-                got.update((w, self.whole(w.decode("latin-1"))) for w in part)
-        tails = {c[len(s) :] for c, s in parts.items()}
-        for t in [*odd, *tails]:
-            if t not in got:
-                got[t] = known.get(t) or self.whole(t.decode("latin-1"))
-        for c, stem in parts.items():
-            if c not in got:
-                got[c] = (got[stem] if stem in got else known[stem]) + got[c[len(stem) :]]
-        return got
+        self.met = bytearray(_MET)
+        self.kind = "<u2" if max(self.library.get_vocab().values()) < 1 << 16 else "<u4"
+        self.size = int(self.kind[-1])
 
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
-    def many(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text; a null text counts as empty."""
-        out: list[bytes] = []
+    def _word(self, letters: bytes) -> bytes:
+        """Ids of one run of small letters."""
+        shown = letters.decode("latin-1")
+        if not shown.isascii():
+            shown = shown.encode().decode("latin-1").translate(_BYTE_LETTERS)
+        size = self.size
+        return b"".join([t.id.to_bytes(size, "little") for t in self.model.tokenize(shown)])
+
+    def _chunk(self, chunk: bytes) -> bytes:
+        """Ids of a chunk that is not remembered.  Punctuation at its end is a piece of its own unless an
+        apostrophe is in it."""
+        stem = chunk.rstrip(_TAIL)
+        if stem.translate(None, _LETTERS):
+            ids = self.whole(chunk.decode("latin-1"))
+        else:
+            ids = b"" if not stem else self.known.get(stem) or self._word(stem)
+            if tail := chunk[len(stem) :]:
+                ids += self.known.get(tail) or self._remember(tail, self.whole(tail.decode("latin-1")))
+        return self._remember(chunk, ids)
+
+    def _remember(self, chunk: bytes, ids: bytes) -> bytes:
+        place = hash(chunk) & (_MET - 1)
+        if not self.met[place]:
+            self.met[place] = 1
+        elif len(self.known) < MEMORY:
+            self.known[chunk] = ids
+        return ids
+
+    def _split(self, raw: bytes) -> Iterator[list[bytes]]:
+        """Chunks of a normalised text, a slice that ends at a space at a time."""
         at = 0
-        while at < len(texts):
-            size, end = 0, at
-            while end < len(texts) and size < _SLICE:
-                size += len(texts[end] or "")
-                end += 1
-            out += self._slice(texts[at:end])
+        while at < len(raw):
+            end = len(raw)
+            if end - at > _SLICE:
+                end = raw.rfind(b" ", at, at + _SLICE) + 1 or raw.find(b" ", at + _SLICE) + 1 or len(raw)
+            yield raw[at:end].split()
             at = end
-        return out
-
-    def _slice(self, texts: list[str | None]) -> list[bytes]:
-        out: list[bytes | None] = []
-        split: list[tuple[int, list[bytes], list[bytes | None], list[int]]] = []
-        get, new = self.known.get, set()
-        for text in texts:
-            try:
-                raw = (text or "").encode("latin-1")
-            except UnicodeEncodeError:
-                out.append(self.whole(text.encode("utf-8", "replace").decode("utf-8")))
-                continue
-            if b"<|" in raw and any(s in text for s in _SPECIAL):
-                out.append(self.whole(text))
-                continue
-            chunks = raw.translate(_TABLE).split()
-            found = list(map(get, chunks))
-            missing = [i for i, ids in enumerate(found) if ids is None]
-            new.update(chunks[i] for i in missing)
-            split.append((len(out), chunks, found, missing))
-            out.append(None)
-        got = self._ask(new)
-        for place, chunks, found, missing in split:
-            for i in missing:
-                found[i] = got[chunks[i]]
-            out[place] = b"".join(found)
-        if len(self.known) < MEMORY:
-            self.known.update(got)
-        return out
+
+    def one(self, text: str | None) -> bytes:
+        """The ids of a text; a null text counts as empty."""
+        text = text or ""
+        try:
+            raw = text.encode("latin-1")
+        except UnicodeEncodeError:
+            return self.whole(text.encode("utf-8", "replace").decode("utf-8"))
+        if b"<|" in raw and any(s in text for s in _SPECIAL):
+            return self.whole(text)
+        get, parts = self.known.get, []
+        for chunks in self._split(raw.translate(_TABLE)):
+            found, at = list(map(get, chunks)), -1
+            for _ in range(found.count(None)):
+                at = found.index(None, at + 1)
+                found[at] = self._chunk(chunks[at])
+            parts.append(b"".join(found))
+        return parts[0] if len(parts) == 1 else b"".join(parts)
+
+    def many(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text."""
+        return list(map(self.one, texts))
 
 
 def wide(ids: bytes, kind: str) -> bytes:

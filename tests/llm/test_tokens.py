@@ -142,3 +142,26 @@ def test_pieces_follow_the_attention_capacity(spark):
     docs = spark.createDataFrame([(1, "a b c d e f g h i j k l")], "doc_id bigint, text string")
     rows = packing.pack(docs, vocabulary(), p=packing.PackParams(tokens=8, attention=25.0)).collect()
     assert max(r["length"] for r in rows) == 5 and sum(r["length"] for r in rows) == 13
+
+
+def test_a_hot_key_is_spread_over_shards(spark, library, tmp_path):
+    rows = [(7, f"copy number {i % 50}") for i in range(300)] + [(i, f"text {i}") for i in range(-40, 60) if i != 7] + [(None, "no key")] * 90
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    folder = f"file://{tmp_path}/hot"
+    manifest = token_index.write(docs, folder, vocabulary(), 2, 6).orderBy("shard").collect()
+    assert max(r["rows"] for r in manifest) < 200 and sum(r["low"] == 7 or r["high"] == 7 for r in manifest) > 2
+    got = sorted(token_index.read(spark, folder).collect(), key=lambda r: r["start"])
+    assert [r["start"] for r in got] == list(np.cumsum([0] + [r["n_tokens"] for r in got])[:-1])
+    assert [r["doc_id"] for r in got] == sorted((r[0] for r in rows), key=lambda k: (k is not None, k or 0))
+    index, first = token_index.TokenIndex(spark, folder), next(r for r in got if r["doc_id"] == 7)
+    assert len(index.get(7)) == first["n_tokens"]
+    for i in (-40, 0, 6, 8, 59):
+        assert index.get(i).tolist() == [*plain(library, f"text {i}"), 2]
+    assert index.get(60) is None and index.get(-41) is None
+
+
+def test_long_texts_are_split_at_spaces(library, monkeypatch):
+    monkeypatch.setattr("rivulet.llm.tokens._SLICE", 16)
+    text = "\tÉtude no. 1,  a-b don't " + "x" * 40 + " end\n" + "word " * 30
+    tool = WordIds(vocabulary())
+    assert np.frombuffer(tool.one(text), tool.kind).tolist() == plain(library, text)
