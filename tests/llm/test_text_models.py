@@ -90,7 +90,7 @@ def test_base_and_counts_by_brute_force(spark, odd_docs, brute, no_docs):
         (str(i), out(i), len(x), sum(counts[w] > 0 for w in x), n, round(sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in x), 6))
         for i, t in rows for x in [tokens(t)]
     )
-    got = brown.score(docs, held_out("doc_id", 7, 2), brown.BrownParams(clustered=500, exchanged=200, classes=16)).collect()
+    got = brown.score(docs, held_out("doc_id", 7, 2), brown.BrownParams(held=500, exchanged=200, classes=16)).collect()
     assert sorted((str(r[0]), r[1], r[2], r[3], r[4], round(r[5], 6)) for r in got) == want
     held = [r for r in got if r["held_out"]]
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
@@ -100,7 +100,7 @@ def test_base_and_counts_by_brute_force(spark, odd_docs, brute, no_docs):
 def test_model_is_a_distribution(spark):
     """Over all known words and one unknown word of every class, the next word's probabilities sum to one."""
     docs = spark.createDataFrame([(0, "a b a c b a"), (1, "b c d"), (3, "c a a d e")], "doc_id bigint, text string")
-    p = brown.BrownParams(clustered=3, exchanged=2, classes=2, forms=4)
+    p = brown.BrownParams(held=3, exchanged=2, classes=2, forms=4)
     probe = docs.unionByName(spark.createDataFrame([(50 + i, w) for i, w in enumerate("abcde")], docs.schema))
     got = {r["doc_id"]: r["score"] for r in brown.score(probe, F.col("doc_id") >= 50, p).collect()}
     assert all(-30 < got[50 + i] < 0 for i in range(5))
