@@ -1,14 +1,21 @@
 """Nearest neighbours by inner product with a forest of random-projection trees.
 
 Each tree cuts the space again and again by the median of a random projection,
-down to leaves of ``leaf`` rows of the sample it is fitted on.  All trees are
-searched through one priority queue of branches ordered by how far the query
-is from their cuts, until leaves that hold ``candidates`` rows have been
-opened; the rows of those leaves are then ranked exactly.  Vectors are brought
-to one length first, by one more coordinate that holds what is missing to the
-longest vector, so near in angle means large in inner product.
-
-The trees are fitted on at most ``sample`` vectors; every row is indexed.
+down to leaves of about ``leaf`` rows.  All trees are searched through one
+priority queue of branches ordered by how far the query is from their cuts,
+until enough rows are in the leaves that have been opened; the rows of those
+leaves are then ranked exactly.  Vectors are brought to one length first, by
+one more coordinate that holds what is missing to the longest vector, so near
+in angle means large in inner product.
+
+How many rows are enough is measured: ``trials`` of the queries are compared
+with every row, and the search opens as many rows as their true neighbours
+needed for a recall of ``recall`` (``candidates`` at least).  So the recall
+holds at every size and for every kind of data; how much of the table must be
+opened for it is a property of the data.
+
+The trees are fitted on at most ``sample`` vectors, down to leaves of no fewer
+than ``least_leaf`` of them; every row is indexed.
 Equal vectors are collapsed before indexing and put back in the ranking with
 their smallest ids, more of which cannot be among the nearest.  The rows and
 the queries of a leaf are dealt in blocks of at most ``block``, so no leaf
@@ -25,6 +32,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import takewhile
 
 import numpy as np
 import pandas as pd
@@ -32,15 +40,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Workspace
+from .common import Workspace, least_hashed
 
 
 @dataclass(frozen=True)
 class ForestParams:
     trees: int = 12
-    sample: int = 16384
-    leaf: int = 192
+    sample: int = 65536
+    leaf: int = 400
+    least_leaf: int = 64
     candidates: int = 40000
+    trials: int = 200
+    recall: float = 0.96
     block: int = 4096
     k: int = 20
     seed: int = 42
@@ -96,13 +107,13 @@ def assign(tree: Tree, x: np.ndarray) -> np.ndarray:
     return -1 - node
 
 
-def visit(forest: list[Tree], counts: list[np.ndarray], q: np.ndarray, candidates: int) -> list[tuple[int, int]]:
-    """(tree, leaf) in the order of one priority queue over all trees."""
+def visit(forest: list[Tree], counts: list[np.ndarray], q: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(tree, leaf, rows opened before it) in the order of one priority queue over all trees."""
     margins = [t.planes @ q - t.cuts for t in forest]
     queue = [(0.0, t, 0 if len(tree.cuts) else -1) for t, tree in enumerate(forest)]
     heapq.heapify(queue)
-    out, rows = [], 0
-    while queue and rows < candidates:
+    rows = 0
+    while queue:
         cost, t, node = heapq.heappop(queue)
         children, margin = forest[t].children, margins[t]
         while node >= 0:
@@ -111,9 +122,8 @@ def visit(forest: list[Tree], counts: list[np.ndarray], q: np.ndarray, candidate
             heapq.heappush(queue, (max(cost, abs(m)), t, int(children[node, 1 - near])))
             node = int(children[node, near])
         leaf = -1 - node
-        out.append((t, leaf))
+        yield t, leaf, rows
         rows += int(counts[t][leaf])
-    return out
 
 
 def _unit(x: np.ndarray, longest: float) -> np.ndarray:
@@ -135,6 +145,53 @@ def usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
     return rows.groupBy("id").agg(F.min("v").alias("v"))
 
 
+def _true_neighbours(placed: DataFrame, trials: list[tuple[int, list[float]]], k: int) -> DataFrame:
+    """trial, leaf: the leaves of the ``k`` nearest rows of every trial, over all rows.
+
+    Each task keeps its own nearest few of every trial, so what is brought
+    together is bounded by the trials and the number of tasks.
+    """
+    shared = placed.sparkSession.sparkContext.broadcast((np.array([q for q, _ in trials]), np.array([w for _, w in trials])))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, w = shared.value
+        best: list[list[tuple[float, int, bytes]]] = [[] for _ in w]
+        for b in batches:
+            if not b.num_rows:
+                continue
+            v, ids, leaves = _matrix(b.column(1)), b.column(0).to_numpy(), _matrix(b.column(2)).astype("<i4")
+            s = w @ v.T
+            for n, row in enumerate(s):
+                top = np.argpartition(-row, k)[: k + 1] if len(row) > k + 1 else np.arange(len(row))
+                best[n] = sorted(best[n] + [(-float(row[i]), int(ids[i]), leaves[i].tobytes()) for i in top])[: k + 1]
+        rows = [(n, -s, i, x) for n, own in enumerate(best) for s, i, x in own]
+        cols = list(zip(*rows, strict=True)) or [[]] * 4
+        kinds = (pa.int32(), pa.float64(), pa.int64(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["trial", "score", "rep", "leaf"])
+
+    near = placed.mapInArrow(run, "trial int, score double, rep long, leaf binary")
+    place = F.row_number().over(Window.partitionBy("trial").orderBy(F.desc("score"), "rep"))
+    return near.withColumn("n", place).where(F.col("n") <= k + 1).select("trial", "rep", "leaf")
+
+
+def rows_to_open(
+    forest: list[Tree], counts: list[np.ndarray], trials: list[np.ndarray], leaves: list[list[np.ndarray]], recall: float
+) -> int:
+    """The least number of rows after which a share ``recall`` of the trials' neighbours has been met."""
+    needed = []
+    for q, own in zip(trials, leaves, strict=True):
+        open_at = [set(enumerate(x.tolist())) for x in own]
+        for t, leaf, before in visit(forest, counts, q):
+            met = [x for x in open_at if (t, leaf) in x]
+            if met:
+                needed += [before + 1] * len(met)
+                open_at = [x for x in open_at if (t, leaf) not in x]
+            if not open_at:
+                break
+    needed.sort()
+    return needed[max(0, int(np.ceil(recall * len(needed))) - 1)] if needed else 0
+
+
 def search(
     vectors: DataFrame, is_query: Column, p: ForestParams = ForestParams(), key: str = "vec_id", vector: str = "embedding"
 ) -> DataFrame:
@@ -152,11 +209,11 @@ def search(
     # equal vectors: one representative, with as many ids as a ranking can show
     ranked = rows.withColumn("n", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("n") <= p.k + 1)
     reps = ws.keep(ranked.groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids")).withColumn("rep", F.col("ids")[0]), "reps")
-    sample = reps.orderBy(F.xxhash64(F.lit(p.seed), "rep"), "rep").limit(p.sample).select("v").collect()
-    longest = float(reps.agg(F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, c: s + c * c)))).first()[0])
-    x = _unit(np.array([r[0] for r in sample]), longest)
+    sample = least_hashed(reps, "rep", p.sample, p.seed).select("v").toArrow().column(0).combine_chunks()
+    longest, n_reps = reps.agg(F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, c: s + c * c))), F.count("*")).first()
+    x = _unit(_matrix(sample), longest)
     rng = np.random.default_rng(p.seed)
-    forest = [fit_tree(x, p.leaf, rng) for _ in range(p.trees)]
+    forest = [fit_tree(x, max(p.least_leaf, p.leaf * len(x) // n_reps), rng) for _ in range(p.trees)]
     shared = spark.sparkContext.broadcast((forest, longest))  # bounded by sample and trees
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,7 +230,16 @@ def search(
     for r in placed.select(F.posexplode("leaf").alias("t", "leaf")).groupBy("t", "leaf").count().collect():
         sizes[r[0]][r[1]] = r[2]  # one number for each leaf of the fitted trees
     held = spark.sparkContext.broadcast(sizes)
-    budget = p.candidates
+    queries = rows.where(is_query)
+    trials = [(r[0], r[1]) for r in least_hashed(queries.select("id", "v"), "id", p.trials, p.seed).collect()]
+    if not trials:
+        return spark.createDataFrame([], empty)
+    true = [[] for _ in trials]
+    for r in _true_neighbours(placed, trials, p.k).collect():
+        if r["rep"] != trials[r["trial"]][0]:
+            true[r["trial"]].append(np.frombuffer(r["leaf"], "<i4"))
+    flat = [np.r_[np.array(w), 0.0] for _, w in trials]
+    budget = max(p.candidates, rows_to_open(forest, sizes, flat, true, p.recall))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (trees, top), counts = shared.value, held.value
@@ -181,7 +247,7 @@ def search(
             u = _unit(_matrix(b.column(1)), top)
             # the query itself has no missing part: the extra coordinate is 0
             u[:, -1] = 0
-            way = [visit(trees, counts, q, budget) for q in u]
+            way = [[(t, leaf) for t, leaf, _ in takewhile(lambda x: x[2] < budget, visit(trees, counts, q))] for q in u]
             n = [len(w) for w in way]
             at = pa.array(np.repeat(np.arange(b.num_rows), n))
             flat = np.array([x for w in way for x in w], np.int32).reshape(-1, 2)
@@ -189,7 +255,6 @@ def search(
                 [b.column(0).take(at), pa.array(flat[:, 0]), pa.array(flat[:, 1])], ["query_id", "t", "leaf"]
             )
 
-    queries = rows.where(is_query)
     visits = ws.keep(queries.mapInArrow(route, "query_id long, t int, leaf int"), "visits")
     traffic = {(r[0], r[1]): r[2] for r in visits.groupBy("t", "leaf").count().collect()}
     blocks = [
@@ -224,7 +289,10 @@ def search(
                 q, c = np.nonzero(s >= edge[:, None])
             else:
                 q, c = (z.ravel() for z in np.indices(s.shape))
-            out.append(pd.DataFrame({"query_id": b["query_id"].to_numpy()[at + q], "rep": ids[c], "score": np.einsum("ij,ij->i", w[at + q], v[c])}))
+            score = np.zeros(len(q))  # added in the order of the components, so the last bit is the same everywhere
+            for x, y in zip(w[at + q].T, v[c].T, strict=True):
+                score += x * y
+            out.append(pd.DataFrame({"query_id": b["query_id"].to_numpy()[at + q], "rep": ids[c], "score": score}))
         return pd.concat(out)
 
     keys = ["t", "leaf", "r", "q"]

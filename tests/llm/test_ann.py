@@ -17,7 +17,7 @@ def brute(ids, x, queries, k):
 def test_recall_and_scores(spark):
     t = spark.read.parquet(f"{SF}/embeddings.parquet").toPandas().sort_values("vec_id")
     ids, x = t["vec_id"].to_numpy(), np.stack(t["embedding"]).astype(float)
-    p = ann.ForestParams(trees=8, leaf=40, candidates=5000)
+    p = ann.ForestParams(trees=8, leaf=40, candidates=1)  # the rows to open are measured
     got = ann.search(spark.read.parquet(f"{SF}/embeddings.parquet"), F.col("id") % 20 == 0, p).toPandas()
     want = brute(ids, x, ids[ids % 20 == 0], 20)
     hits = sum(len(set(g["vec_id"]) & set(want[q])) for q, g in got.groupby("query_id"))
@@ -58,5 +58,18 @@ def test_tree_assignment_follows_its_cuts():
     leaves = ann.assign(t, x)
     assert leaves.min() >= 0 and leaves.max() < t.leaves and np.bincount(leaves).max() <= 20
     counts = [np.bincount(leaves, minlength=t.leaves)]
-    every = ann.visit([t], counts, x[0], 10**9)
-    assert sorted(every) == [(0, k) for k in range(t.leaves)] and every[0] == (0, leaves[0])
+    every = list(ann.visit([t], counts, x[0]))
+    assert sorted(e[:2] for e in every) == [(0, k) for k in range(t.leaves)] and every[0] == (0, leaves[0], 0)
+    assert [e[2] for e in every] == np.cumsum([0] + [counts[0][k] for _, k, _ in every])[:-1].tolist()
+
+
+def test_rows_to_open_reach_the_recall():
+    """Neighbours in the leaf opened n-th are met once more rows may be opened than are in the leaves before it."""
+    x = np.random.default_rng(1).normal(size=(500, 5))
+    t = ann.fit_tree(x, 20, np.random.default_rng(2))
+    counts = [np.bincount(ann.assign(t, x), minlength=t.leaves)]
+    way = list(ann.visit([t], counts, x[0]))
+    near = [np.array([leaf]) for _, leaf, _ in way[:10]]
+    for n in (1, 5, 9):
+        assert ann.rows_to_open([t], counts, [x[0]], [near], n / 10 - 0.05) == way[n - 1][2] + 1
+    assert ann.rows_to_open([t], counts, [x[0]], [[]], 0.9) == 0
