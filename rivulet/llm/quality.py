@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import least_hashed
+
 FEATURES = (
     "log_chars", "log_words", "mean_word", "longest_word", "upper", "digit", "symbol", "comma", "stop", "bang",
     "pipe", "non_ascii", "lines", "words_per_line", "repeated_lines", "distinct_words", "top_word", "short_words",
@@ -196,7 +198,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, params: QualityParam
     """Fit on ``docs`` (doc_id, text) and ``labels`` (doc_id, quality); ``usable`` is a condition on doc_id."""
     marked = labels.where(usable & F.col("doc_id").isNotNull() & F.col("quality").isNotNull())
     marked = marked.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("y"))
-    sample = marked.orderBy(F.xxhash64(F.lit("sample"), "doc_id"), "doc_id").limit(params.max_rows).collect()
+    sample = least_hashed(marked, "doc_id", params.max_rows, "sample").collect()
     ids = docs.sparkSession.createDataFrame([(r[0], int(r[1])) for r in sample], "doc_id long, y int")
     # at most max_rows ids; one text for each id
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), "doc_id")

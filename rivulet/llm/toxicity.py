@@ -36,6 +36,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import least_hashed
+
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -159,8 +161,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, params: ToxicityPara
     """Fit on ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic); ``usable`` is a condition on doc_id."""
     p = params
     marked = labels.where(usable & F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).select("doc_id", "toxic")
-    order = F.xxhash64(F.lit("sample"), "doc_id")
-    by_hash = lambda df, n: [r[0] for r in df.distinct().orderBy(order, "doc_id").limit(n).collect()]
+    by_hash = lambda df, n: [r[0] for r in least_hashed(df, "doc_id", n, "sample", distinct=True).collect()]
     known = set(by_hash(marked.where("toxic = 1").select("doc_id"), p.max_positive))
     if not known:
         return None
