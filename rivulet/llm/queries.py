@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, brown, decontam, html_extract, packing, quality, secrets, simhash, token_index, toxicity
+from . import ann, brown, decontam, html_extract, oracles, packing, quality, secrets, simhash, token_index, toxicity
 from .common import Workspace, held_out
 from .tokens import vocabulary
 
@@ -92,4 +92,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": _pipeline,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = oracles.SQL
