@@ -144,6 +144,13 @@ class Joined:
         )
 
 
+def _slices(rows: DataFrame, order: list[str]) -> DataFrame:
+    """One row: the array of the places in the order where slices of about equal size begin, one for each shuffle partition."""
+    parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = rows.select(*order).repartitionByRange(parts, *order).groupBy(F.spark_partition_id()).agg(F.min(F.struct(*order)).alias("b"))
+    return dealt.agg(F.array_sort(F.collect_list("b")).alias("_starts"))
+
+
 class JoinedWindow:
     """A stream with the whole contents of a window: ``apply(fn, schema)``."""
 
@@ -153,10 +160,11 @@ class JoinedWindow:
     def apply(self, fn: Callable[[dict, list[dict]], dict], schema: str) -> Stream:
         """``fn`` of each left record and the records the window holds when it arrives.
 
-        For a record window of the last n of every group, or the time window
-        that is open at the left record's own event time.  The contents are
-        built as arrays in the JVM: of the right records up to then, those
-        within the last n of their group.
+        For a record window of the last n of every group.  The contents are
+        built as arrays in the JVM: a right record is held from its arrival
+        until the n-th record after it in its group.  The order is cut into
+        slices, and a right record is put under every slice in which it is held,
+        so the join is one on slices and meets hardly more than the contents.
         """
         import pandas as pd
         from pyspark.sql import types as T
@@ -172,7 +180,13 @@ class JoinedWindow:
         mine = Window.partitionBy(*right.ctx, key).orderBy(*order)
         held = right.df.select(F.struct(*right.columns).alias("_r"), F.struct(*order).alias("_from"), F.lead(F.struct(*order), n).over(mine).alias("_until"))
         rows = left.df.select(F.struct(*left.columns).alias("_l"), *order, F.struct(*order).alias("_at"))
-        met = rows.join(held, (F.col("_from") <= F.col("_at")) & (F.col("_until").isNull() | (F.col("_until") > F.col("_at"))), "left")
+        starts = F.broadcast(_slices(left.df, order))  # one row
+        slice_of = lambda c: F.size(F.filter("_starts", lambda b: b <= F.col(c)))
+        rows = rows.crossJoin(starts).withColumn("_slice", slice_of("_at")).drop("_starts")
+        last = F.when(F.col("_until").isNull(), F.size("_starts")).otherwise(slice_of("_until"))
+        held = held.crossJoin(starts).withColumn("_slice", F.explode(F.sequence(slice_of("_from"), last))).drop("_starts")
+        open_then = (F.col("_from") <= F.col("_at")) & (F.col("_until").isNull() | (F.col("_until") > F.col("_at")))
+        met = rows.join(held.withColumnRenamed("_slice", "_in"), (F.col("_slice") == F.col("_in")) & open_then, "left")
         full = met.groupBy("_at").agg(F.first("_l").alias("_l"), F.array_sort(F.collect_list(F.when(F.col("_from").isNotNull(), F.struct("_from", "_r")))).alias("_rs"))
         full = full.select("_l", F.transform("_rs", lambda x: x["_r"]).alias("_rs"), *(F.col("_at").getField(c).alias(c) for c in order))
 

@@ -9,11 +9,12 @@ Other aggregates and ``apply`` walk through the records of a context key.
 from __future__ import annotations
 
 from collections import OrderedDict, deque
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from typing import Any
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import aggregates
 from ..functions.expr import expr
@@ -92,6 +93,16 @@ def apply(window: RecordWindow, fn: Callable[[list[dict]], dict], schema: str) -
     return scan(inner, _Contents(window.n), step, schema)
 
 
+def flat_map(window: RecordWindow, fn: Callable[[list[dict]], Iterable[dict]], schema: str) -> Stream:
+    names = T._parse_datatype_string(schema).names
+    many = T._parse_datatype_string(schema).simpleString()
+    found = apply(window, lambda rows: {"_made": [{n: r.get(n) for n in names} for r in fn(rows)]}, f"_made array<{many}>")
+    place = f"_o{len(found.order)}"
+    df = found.df.select(*found.ctx, *found.order, F.posexplode("_made").alias(place, "_one"))
+    df = df.select(*(F.col("_one").getField(n).alias(n) for n in names), *found.ctx, *found.order, place)
+    return Stream(df, names, [*found.order, place], found.ctx, found.name, found.node_id)
+
+
 def _walk_select(window: RecordWindow, made: dict, nodes: list) -> Stream:
     s, key = window.grouped.stream, window.grouped.key
     env = s.env()

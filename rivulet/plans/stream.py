@@ -311,6 +311,12 @@ class RecordWindow:
 
         return record_window.apply(self, fn, schema)
 
+    def flat_map(self, fn: Callable[[list[dict]], Iterable[dict]], schema: str) -> Stream:
+        """Any number of records from those records, after each record."""
+        from ..operators import record_window
+
+        return record_window.flat_map(self, fn, schema)
+
 
 def _key_binding(column: str) -> Binding:
     from pyspark.sql import types as T

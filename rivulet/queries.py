@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import Stream, agg, call, fields, if_else, lit, record, tuple_of
+from . import Stream, agg, call, duration, fields, if_else, lit, map_option, none_of, record, tuple_of, unpack
+from .functions.time import week_offset
 from .operators.cycle import cycle
+from .plans.work import shared_folder
+from .sources import CsvFormat, DelayedListSource, FileSource, JsonFormat, PartitionedSink
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -451,3 +455,119 @@ def nested_record(spark, sf_dir):  # noqa: ANN001, ANN201
     return s.map(
         lambda r: fields(event_id=r.event_id, inner_user=r.rec.get("user"), inner_type=r.rec.get("kind"), small=r.pair.get("_1") < r.pair.get("_2"))
     ).to_df()
+
+
+@query(f"""SELECT event_id, ts + INTERVAL 90 MINUTE AS later, CAST(user_id AS VARCHAR) || '/' || event_type AS label, user_id + 7 AS back,
+    CAST({_CENTS} AS DOUBLE) AS as_double, user_id = 5 OR NOT event_type = 'click' AS either, user_id >= 10 AND user_id <= 20 AS both_ways,
+    CASE WHEN user_id > 50 THEN user_id + 1 ELSE -1 END AS option, user_id + {_CENTS} AS unpacked, user_id <= 50 AS missing,
+    user_id > 50 OR (user_id = 50 AND event_id > 500) AS after, CASE WHEN {_CENTS} < 100 THEN 'low' ELSE CASE WHEN {_CENTS} < 1000 THEN 'mid' ELSE 'high' END END AS size,
+    user_id <> 3 AS other FROM events""")
+def expressions(spark, sf_dir):  # noqa: ANN001, ANN201
+    """Literals, durations, conversions, comparisons, options, tuples and nested choices."""
+    some = lambda r: if_else(r.user_id > 50, r.user_id, none_of("bigint"))
+    return events(spark, sf_dir).map(
+        lambda r: fields(
+            event_id=r.event_id, later=r.ts + duration(5_400_000), label=r.user_id.to_string() + "/" + r.event_type,
+            back=r.user_id.to_string().to_long() + 7, as_double=r.cents.to_double(), either=(r.user_id == 5) | ~(r.event_type == "click"),
+            both_ways=(r.user_id >= 10) & (r.user_id <= 20), option=map_option(some(r), lambda v: v + 1, -1),
+            unpacked=unpack(tuple_of(r.user_id, r.cents), 2, lambda a, b: a + b), missing=some(r).is_null(),
+            after=tuple_of(r.user_id, r.event_id) > tuple_of(lit(50), lit(500)), size=if_else(r.cents < 100, "low", if_else(r.cents < 1000, "mid", "high")),
+            other=r.user_id != 3,
+        )
+    ).to_df()
+
+
+@query("SELECT date_trunc('week', ts)::TIMESTAMP AS week, count(*) AS n FROM events GROUP BY 1")
+def week_window(spark, sf_dir):  # noqa: ANN001, ANN201
+    """Windows of seven days that begin on Mondays."""
+    w = events(spark, sf_dir).tumbling_window(lambda r: r.ts, "7 days", week_offset("monday"))
+    return w.select(lambda start, r: fields(week=start, n=agg.count()), emit="final").to_df()
+
+
+@query("""WITH s AS (SELECT event_id, user_id FROM events WHERE user_id < 5)
+    SELECT l.event_id, (SELECT count(*) FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM s r WHERE r.event_id <= l.event_id) x WHERE n <= 2) AS held,
+      (SELECT CAST(sum(event_id) AS BIGINT) FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM s r WHERE r.event_id <= l.event_id) x WHERE n <= 2) AS ids
+    FROM s l""")
+def record_window_flat_map(spark, sf_dir):  # noqa: ANN001, ANN201
+    """After each record one record for each that the window holds, counted again by the arrival."""
+    s = events(spark, sf_dir, "event_id", "user_id").where(lambda r: r.user_id < 5)
+    held = s.group_by(lambda r: r.user_id).record_window(2).flat_map(
+        lambda rows: [{"arrival": max(x["event_id"] for x in rows), "one": x["event_id"]} for x in rows], "arrival bigint, one bigint"
+    )
+    return held.group_by(lambda r: r.arrival).select(lambda k, r: fields(event_id=k, held=agg.count(), ids=agg.sum_(r.one)), emit="final").to_df()
+
+
+_FILED = "o_orderkey bigint, o_orderpriority string, cents bigint, o_orderstatus string"
+
+
+def _through(spark: SparkSession, sf_dir: str, form: CsvFormat | JsonFormat) -> DataFrame:
+    """Orders through files in folders by status, and back."""
+    folder = f"{shared_folder(spark)}/filed-{uuid.uuid4().hex}"
+    s = orders(spark, sf_dir).map(lambda r: fields(o_orderkey=r.o_orderkey, o_orderpriority=r.o_orderpriority, cents=r.cents, o_orderstatus=r.o_orderstatus))
+    PartitionedSink(folder, ("o_orderstatus",), form).write(s)
+    inner = ", ".join(_FILED.split(", ")[:3])
+    back = [
+        FileSource(f"{folder}/o_orderstatus={k}", inner, form).stream(spark).to_df().withColumn("o_orderstatus", F.lit(k)) for k in ("F", "O", "P")
+    ]
+    return back[0].unionByName(back[1]).unionByName(back[2])
+
+
+_FILED_SQL = """SELECT o_orderkey, o_orderpriority, CAST(round(o_totalprice * 100) AS BIGINT) AS cents, o_orderstatus
+    FROM orders WHERE o_orderstatus IN ('F', 'O', 'P')"""
+
+
+@query(_FILED_SQL)
+def json_files(spark, sf_dir):  # noqa: ANN001, ANN201
+    return _through(spark, sf_dir, JsonFormat())
+
+
+@query(_FILED_SQL)
+def csv_files(spark, sf_dir):  # noqa: ANN001, ANN201
+    return _through(spark, sf_dir, CsvFormat())
+
+
+@query("""SELECT CAST(i AS INTEGER) AS i, label, epoch_ms(CAST(ms AS BIGINT)) AS arrival
+    FROM (VALUES (1, 'a', 0), (2, 'b', 250), (3, 'c', 1250)) t(i, label, ms)""")
+def delayed_list(spark, sf_dir):  # noqa: ANN001, ANN201
+    """Given records with pauses between them, with the times at which they would arrive."""
+    df = DelayedListSource([(0, (1, "a")), (250, (2, "b")), (1000, (3, "c"))], "i int, label string").stream(spark).to_df()
+    return df.withColumn("arrival", F.col("arrival").cast("timestamp_ntz"))
+
+
+def _streamed(spark: SparkSession, sf_dir: str) -> Stream:
+    """The events as a stream of files."""
+    path = f"{sf_dir}/events.parquet"
+    kind = spark.read.parquet(path).schema
+    df = spark.readStream.schema(kind).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    df = df.withColumn("cents", F.round(F.col("value") * 100).cast("bigint"))
+    return Stream.of_fields(df, "event_id", "event_id", "user_id", "event_type", "cents")
+
+
+def _ended(spark: SparkSession, stream: Stream) -> DataFrame:
+    """Everything that a streaming query gives for the files that are there."""
+    folder = f"{shared_folder(spark)}/streamed-{uuid.uuid4().hex}"
+    df = stream.to_df()
+    q = df.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema(df.schema).parquet(f"{folder}/rows")
+
+
+@query(f"""SELECT event_id, user_id, CAST(sum({_CENTS}) OVER w AS BIGINT) AS total, count(*) OVER w AS n FROM events WHERE user_id < 30
+    WINDOW w AS ({_RUN})""")
+def streaming_running(spark, sf_dir):  # noqa: ANN001, ANN201
+    g = _streamed(spark, sf_dir).where(lambda r: r.user_id < 30).group_by(lambda r: r.user_id)
+    return _ended(spark, g.flat_map(lambda k, s: s.scan((0, 0), _count_cents, "event_id bigint, user_id bigint, total bigint, n bigint")))
+
+
+def _count_cents(state: tuple[int, int], r: dict) -> tuple[tuple[int, int], dict]:
+    total, n = state[0] + r["cents"], state[1] + 1
+    return (total, n), {"event_id": r["event_id"], "user_id": r["user_id"], "total": total, "n": n}
+
+
+@query("""SELECT l.event_id, l.user_id, r.event_id AS click_id
+    FROM (SELECT * FROM events WHERE event_type = 'purchase') l
+    ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'click') r ON l.user_id = r.user_id AND l.event_id >= r.event_id""")
+def streaming_left_join(spark, sf_dir):  # noqa: ANN001, ANN201
+    s = _streamed(spark, sf_dir)
+    joined = _kind(s, "purchase").left_join(_kind(s, "click")).where(lambda l, r: l.user_id == r.user_id)  # noqa: E741
+    return _ended(spark, joined.select(lambda l, r: fields(event_id=l.event_id, user_id=l.user_id, click_id=r.event_id)))  # noqa: E741

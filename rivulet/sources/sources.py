@@ -9,7 +9,7 @@ bundled here.
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any, Protocol
@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.stream import Stream
+from ..plans.work import shared_folder
 from .formats import Format, JsonFormat
 
 
@@ -37,8 +38,8 @@ class ListSource:
         listed = Stream.of_list(spark, self.rows, self.schema)
         if not self.run_forever:
             return listed
-        folder = tempfile.mkdtemp(prefix="rivulet-list-")  # of a local session: a list lives with its driver
-        listed.df.write.mode("overwrite").parquet(folder)
+        folder = f"{shared_folder(spark)}/list-{uuid.uuid4().hex}"
+        listed.df.write.parquet(folder)
         df = spark.readStream.schema(listed.df.schema).parquet(folder)
         return Stream(df, listed.columns, listed.order)
 

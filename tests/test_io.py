@@ -77,6 +77,35 @@ def test_application_with_several_sinks(spark, tmp_path):
         app.run(spark)
 
 
+def doubled(given):
+    return {"doubled": given["numbers"].map(lambda r: fields(i=r.i + r.i, j=r.i))}
+
+
+def test_application_as_text(spark, tmp_path):
+    app = Application("sums", doubled, "2")
+    app.set_source("numbers", ListSource([(1,), (2,)], "i int"))
+    app.set_source("files", FileSource("/nowhere", "t timestamp", CsvFormat(columns=("t",), times={"t": "yyyy"}), ("t",)))
+    app.add_sink("doubled", MemorySink("told")).add_sink("doubled", FileSink(str(tmp_path / "f")))
+    app.metrics["doubled"] = [Histogram("i", (0.5,))]
+    again = Application.from_json(app.to_json())
+    assert (again.sources, again.metrics, again.build, again.version) == (app.sources, app.metrics, doubled, "2")
+    assert again.to_json() == app.to_json()
+    again.sources.pop("files")
+    memory = again.sinks["doubled"][0]
+    memory.clear()
+    again.run(spark)
+    assert [r["i"] for r in memory.wait_for(2)] == [2, 4]
+    with pytest.raises(ValueError, match="found again"):
+        Application("x", lambda given: given).to_json()
+
+
+def test_list_that_runs_forever(spark):
+    s = ListSource([(1, "a"), (2, "b")], "i int, s string", run_forever=True).stream(spark)
+    q = s.to_df().writeStream.format("memory").queryName("forever").trigger(availableNow=True).start()
+    q.awaitTermination(60)
+    assert sorted(map(tuple, spark.table("forever").collect())) == [(1, "a"), (2, "b")]
+
+
 def test_select_all_names(spark):
     a = Stream.of_list(spark, [(1, 2)], "a int, right_a int")
     out = a.left_join(a).where(lambda x, y: x.a == y.a).select_all()
