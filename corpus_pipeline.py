@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rivulet.llm import decontam, packing, secrets, simhash, toxicity
-from rivulet.llm.common import Workspace, held_out
+from rivulet.llm.common import Workspace, bound_batches, held_out
 from rivulet.llm.tokens import vocabulary
 
 #: Documents with a toxicity of this or more are rejected.
@@ -21,6 +21,7 @@ TOXIC = 0.3
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.fit(docs, labels, ~held_out("doc_id", 4, 2))
     return toxicity.score(docs, model).where(F.col("toxicity") < TOXIC).drop("toxicity")
@@ -28,6 +29,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each class stays, once; rows without an id stay."""
+    bound_batches(spark)
     ws = Workspace(spark, "dedup")
     classes = ws.keep(simhash.near_classes(spark, docs), "classes")
     later = ws.keep(classes.where("doc_id <> component_id").select("doc_id").distinct(), "later")
@@ -41,6 +43,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     leaks = Workspace(spark, "leaks").keep(decontam.matches(docs, items).select("doc_id").distinct(), "leaks")
     return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)
@@ -62,6 +65,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
     return packing.pack(docs, vocabulary())
 
 

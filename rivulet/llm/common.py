@@ -35,6 +35,21 @@ def work_base(spark: SparkSession) -> str:
     return "file://" + _OWN[0]
 
 
+#: Bytes of texts that go to a Python worker at once.
+BATCH = "8m"
+_BATCH_KEY, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Set the session's Arrow batches to ``BATCH`` bytes, unless it has a bound of its own.
+
+    Batches are held outside the heap, several times over while they grow, so
+    with the default of 64 MB long texts take most of an executor's overhead.
+    """
+    if spark.conf.get(_BATCH_KEY, None) == _BATCH_DEFAULT:
+        spark.conf.set(_BATCH_KEY, BATCH)
+
+
 class Workspace:
     """Tables written under one fresh folder of the shared folder.
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, brown, decontam, html_extract, oracles, packing, quality, secrets, simhash, token_index, toxicity
-from .common import Workspace, held_out
+from .common import Workspace, bound_batches, held_out
 from .tokens import vocabulary
 
 
@@ -78,18 +79,27 @@ def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
+def _bounded(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    @functools.wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        bound_batches(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_toxicity": op1_toxicity,
-    "op2_token_index": op2_token_index,
-    "op3_brown": op3_brown,
-    "op4_packing": op4_packing,
-    "op5_html": op5_html,
-    "op6_secrets": op6_secrets,
-    "op7_decontamination": op7_decontamination,
-    "op8_forest": op8_forest,
-    "op9_simhash": op9_simhash,
-    "op10_quality": op10_quality,
-    "pipeline": _pipeline,
+    "op1_toxicity": _bounded(op1_toxicity),
+    "op2_token_index": _bounded(op2_token_index),
+    "op3_brown": _bounded(op3_brown),
+    "op4_packing": _bounded(op4_packing),
+    "op5_html": _bounded(op5_html),
+    "op6_secrets": _bounded(op6_secrets),
+    "op7_decontamination": _bounded(op7_decontamination),
+    "op8_forest": _bounded(op8_forest),
+    "op9_simhash": _bounded(op9_simhash),
+    "op10_quality": _bounded(op10_quality),
+    "pipeline": _bounded(_pipeline),
 }
 
 ORACLE_SQL: dict[str, str] = oracles.SQL
