@@ -118,3 +118,36 @@ def test_exchange_finds_the_classes():
     a, b, n = (np.array(x) for x in zip(*((i, j, c) for (i, j), c in counts.items()), strict=True))
     of = brown.exchange((a, b, n), 60, 3, 20)
     assert all(len(set(of[kind == k])) == 1 for k in range(3)) and len(set(of)) == 3
+
+
+def test_words_beyond_the_drivers_move_too(spark):
+    """Words of one form, too rare for the driver, get classes by what stands beside them."""
+    rng = np.random.default_rng(5)
+    word = lambda kind: f"{kind * 40 + min(int(rng.exponential(8)), 39):03d}xx"
+    text = lambda n: " ".join(word(i % 3) for i in range(n))
+    p = brown.BrownParams(held=20, exchanged=12, classes=4, forms=4)
+    right = " ".join(f"{k * 40 + j:03d}xx" for j in range(10, 16) for k in (0, 1, 2))
+    wrong = " ".join(f"{k * 40 + j:03d}xx" for j in range(10, 16) for k in (2, 1, 0))
+    rows = [*((i, text(60)) for i in range(300)), (1000, right), (1001, wrong)]
+    got = brown.score(spark.createDataFrame(rows, "doc_id bigint, text string"), F.col("doc_id") >= 1000, p)
+    by = {r["doc_id"]: r["score"] for r in got.where("held_out").collect()}
+    assert by[1000] > by[1001] + 3
+
+
+def test_scores_do_not_depend_on_the_held_words(spark, odd_docs):
+    """Words with a place in every worker and words that are joined are scored alike, neighbours too."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").unionByName(odd_docs.select("doc_id", "text"))
+    few, all_ = (
+        sorted((str(r["doc_id"]), r["n_tokens"], r["n_known"], round(r["base_score"], 5), round(r["score"], 5))
+               for r in brown.score(docs, held_out("doc_id", 7, 2), brown.BrownParams(held=h, exchanged=200, classes=16)).collect())
+        for h in (300, 1_000_000)
+    )
+    assert few == all_
+
+
+def test_steps_are_a_distribution():
+    rng = np.random.default_rng(6)
+    p = brown.BrownParams(classes=3, forms=4)
+    grid, kinds, once = rng.integers(0, 9, (8, 8)).astype(float), rng.integers(1, 9, 8), rng.integers(0, 3, (8, 4))
+    next_ = 10 ** brown._steps(grid, kinds, once, p)
+    assert np.allclose(next_[:, :8] @ (grid.sum(0) + p.alpha * kinds) + p.alpha * next_[:, 8:].sum(1), 1)
